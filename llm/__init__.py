@@ -1,0 +1 @@
+"""Operators over the `documents` table that prepare text for training."""

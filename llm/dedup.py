@@ -1,0 +1,80 @@
+"""op5: exact copies. op10: near copies by SimHash."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Two documents are near copies if their 64-bit fingerprints differ in DISTANCE bits at most.
+DISTANCE = 5
+#: DISTANCE bits touch that many blocks at most, so two near copies agree in BLOCKS - DISTANCE blocks: none is missed.
+BLOCKS = 8
+
+EXACT_SQL = """SELECT doc_id, text, lang, source, n_chars FROM documents
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents with one text, the one with the least doc_id."""
+    first = Window.partitionBy("_key").orderBy("doc_id")
+    keyed = docs.withColumn("_key", F.sha2(F.encode("text", "UTF-8"), 256)).withColumn("_nth", F.row_number().over(first))
+    return keyed.where("_nth = 1").drop("_key", "_nth")
+
+
+def _fingerprint():
+    @F.pandas_udf("long")
+    def fingerprint(hashes: pd.Series) -> pd.Series:
+        import numpy as np
+
+        out, known = np.zeros(len(hashes), "<i8"), np.zeros(len(hashes), bool)
+        start = 0
+        while start < len(hashes):  # 64 bytes a hash, so a few documents at once
+            end, n = start, 0
+            while end < len(hashes) and (end == start or n < 200_000):
+                n += 0 if hashes.iloc[end] is None else len(hashes.iloc[end])
+                end += 1
+            sizes = np.array([0 if h is None else len(h) for h in hashes.iloc[start:end]])
+            if n:
+                flat = np.concatenate([h for h in hashes.iloc[start:end] if h is not None and len(h)]).astype("<i8")
+                bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                full = np.flatnonzero(sizes)
+                ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), axis=0, dtype=np.int32)
+                most = 2 * ones > sizes[full][:, None]
+                out[start + full] = np.packbits(most, axis=1, bitorder="little").view("<i8")[:, 0]
+                known[start + full] = True
+            start = end
+        return pd.Series(out, dtype="Int64").where(pd.Series(known))
+
+    return fingerprint
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp: SimHash over the set of a text's words in lower case; null without a word."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return docs.select("doc_id", _fingerprint()(F.transform(words, lambda w: F.xxhash64(w))).alias("fp"))
+
+
+def bands() -> list[Column]:
+    """For every choice of BLOCKS - DISTANCE blocks, a fingerprint's bits there."""
+    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    masks = [sum(1 << b for b in range(x, y)) for x, y in zip(edges, edges[1:])]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [F.col("fp").bitwiseAND(F.lit(signed(sum(c)))) for c in combinations(masks, BLOCKS - DISTANCE)]
+
+
+def near_kept(fps: DataFrame) -> DataFrame:
+    """The doc_id of each document that has no near copy with a smaller doc_id. Documents without a word are all kept."""
+    own = F.when(F.col("fp").isNull(), F.col("doc_id"))
+    reps = fps.groupBy("fp", own.alias("_own")).agg(F.min("doc_id").alias("doc_id"))
+    keys = F.when(F.col("fp").isNull(), F.array(F.struct(F.lit(-1).alias("t"), F.col("doc_id").alias("key")))).otherwise(F.array(*(F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(bands()))))
+    members = reps.select("doc_id", "fp", F.explode(keys).alias("b")).groupBy("b.t", "b.key").agg(F.collect_list(F.struct("doc_id", "fp")).alias("m"))
+    near = F.exists("m", lambda o: (o["doc_id"] < F.col("d.doc_id")) & (F.bit_count(o["fp"].bitwiseXOR(F.col("d.fp"))) <= DISTANCE))
+    flags = members.select("m", F.explode("m").alias("d")).select("d.doc_id", F.coalesce(near, F.lit(False)).alias("near"))
+    return flags.groupBy("doc_id").agg(F.max("near").alias("near")).where("NOT near").select("doc_id")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return docs.join(near_kept(fingerprints(docs)), "doc_id", "left_semi").select(*docs.columns)

@@ -1,0 +1,50 @@
+"""op8: pack all documents, in the order of doc_id, into sequences of LENGTH tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+LENGTH = 2048
+#: Ends each document and counts as a token.
+END = "<|endoftext|>"
+#: A token is a word with the white space before it, or white space at the end: together they are the text.
+TOKEN = r"[ \t\n\r\f]*[^ \t\n\r\f]+|[ \t\n\r\f]+\z"
+#: Running totals are taken within SPAN doc_ids, then over the spans.
+SPAN = 1024
+
+SQL = f"""WITH docs AS (
+  SELECT doc_id, list_append(regexp_extract_all(coalesce(text, ''), '{TOKEN}'), '{END}') AS tokens FROM documents
+), placed AS (
+  SELECT doc_id, tokens, CAST(sum(len(tokens)) OVER (ORDER BY doc_id) - len(tokens) AS BIGINT) AS start FROM docs
+), pieces AS (
+  SELECT doc_id, tokens, start, unnest(generate_series(start // {LENGTH}, (start + len(tokens) - 1) // {LENGTH})) AS seq FROM placed
+), cut AS (
+  SELECT CAST(seq AS BIGINT) AS seq_id, doc_id, greatest(start, seq * {LENGTH}) - seq * {LENGTH} AS pos,
+    list_slice(tokens, CAST(greatest(start, seq * {LENGTH}) - start + 1 AS BIGINT), CAST(least(start + len(tokens), (seq + 1) * {LENGTH}) - start AS BIGINT)) AS part FROM pieces
+)
+SELECT seq_id, CAST(sum(len(part)) AS BIGINT) AS n_tokens, CAST(count(*) AS BIGINT) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc,
+  string_agg(array_to_string(part, ''), '' ORDER BY pos) AS text FROM cut GROUP BY seq_id"""
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each sequence. All but the last have LENGTH tokens; a document that doesn't fit goes on in the next."""
+    span = F.floor(F.col("doc_id") / SPAN)
+    tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
+    counted = docs.select("doc_id", "text", span.alias("span"), (F.size(tokens) + 1).cast("long").alias("n"))
+    sums = docs.select(span.alias("span"), (F.size(tokens) + 1).cast("long").alias("n")).groupBy("span").agg(F.sum("n").alias("n"))
+    before = sums.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("span").orderBy("doc_id")) - F.col("n")
+    # a row for SPAN documents
+    placed = counted.withColumn("within", within).join(F.broadcast(before), "span").select("doc_id", "text", "n", (F.col("within") + F.col("before")).alias("start"))
+    seq = F.explode(F.sequence(F.floor(F.col("start") / LENGTH), F.floor((F.col("start") + F.col("n") - 1) / LENGTH)))
+    cut = placed.withColumn("tokens", F.concat(tokens, F.array(F.lit(END)))).withColumn("seq_id", seq)
+    low, high = F.greatest("start", F.col("seq_id") * LENGTH), F.least(F.col("start") + F.col("n"), (F.col("seq_id") + 1) * LENGTH)
+    pieces = cut.select(
+        "seq_id", "doc_id", (low - F.col("seq_id") * LENGTH).alias("pos"), (high - low).alias("n"),
+        F.array_join(F.slice("tokens", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")), "").alias("part"),
+    )
+    return pieces.groupBy("seq_id").agg(
+        F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda p: p["part"]), "").alias("text"),
+    )

@@ -1,0 +1,58 @@
+"""op1: keep the documents that a classifier trained on `labels` calls good."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FEATURES = ["log_chars", "upper", "digit", "symbol", "stop", "word_chars", "word_repeat", "line_repeat", "line_chars"]
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """docs with FEATURES. A missing text counts as an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    words, lines = F.split(F.trim(text), r"\s+"), F.split(text, "\n")
+    docs = docs.withColumns({"_n": F.greatest(F.length(text), F.lit(1)).cast("double"), "_words": words, "_lines": lines})
+    share = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]+", "")) / F.col("_n")
+    repeat = lambda c: 1 - F.size(F.array_distinct(c)) / F.size(c)
+    return docs.withColumns(
+        {
+            "log_chars": F.log1p("_n"),
+            "upper": share(r"\p{Lu}"),
+            "digit": share("0-9"),
+            "symbol": 1 - F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\s.,]+", "")) / F.col("_n"),
+            "stop": share(".,"),
+            "word_chars": F.log(F.col("_n") / F.size("_words")),
+            "word_repeat": repeat("_words"),
+            "line_repeat": repeat("_lines"),
+            "line_chars": F.log(F.col("_n") / F.size("_lines")),
+        }
+    ).drop("_n", "_words", "_lines")
+
+
+def vectors(docs: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(docs).drop(*FEATURES)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> LogisticRegressionModel:
+    """Over every labelled document; only the weights come to the driver."""
+    known = labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("label"))
+    rows = vectors(features(docs).select("doc_id", *FEATURES).join(known, "doc_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return LogisticRegression(regParam=1e-4, maxIter=100).fit(rows)
+    finally:
+        rows.unpersist()
+
+
+def score(docs: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+    scored = model.setProbabilityCol("_p").transform(vectors(features(docs)))
+    return scored.withColumn("p_quality", vector_to_array("_p")[1]).select(*docs.columns, "p_quality")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).where("p_quality >= 0.5")

@@ -1,0 +1,64 @@
+"""op1, op5, op8 and op10 against plain Python, DuckDB and made-up rows."""
+
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import __spark_entry__ as entry
+from llm import dedup, packing, quality
+
+DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", 4).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", False).getOrCreate()
+
+
+@pytest.mark.parametrize("name", ["op5_exact_dedup", "op8_packing"])
+def test_against_sql(spark, name):
+    own = entry.queries()[name](spark, DIR)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+        got = db.execute(entry.oracle_sql()[name])
+        assert own.columns == [c[0] for c in got.description]
+        assert sorted(map(tuple, own.collect()), key=str) == sorted(got.fetchall(), key=str)
+
+
+def test_packing_loses_nothing(spark):
+    rows = [(3, "c  d\n"), (1, ""), (2, " a b" * 5000), (9000, None), (5000, "x")]
+    out = packing.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").orderBy("seq_id").collect()
+    assert "".join(r.text for r in out) == "".join((t or "") + packing.END for _, t in sorted(rows))
+    assert [r.n_tokens for r in out[:-1]] == [packing.LENGTH] * (len(out) - 1)
+
+
+def test_simhash_finds_every_pair(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    fps = [tuple(r) for r in dedup.fingerprints(docs).collect()]
+    far, spread = 1 << 40, sum(1 << 12 * i for i in range(5))
+    fps += [(far, 0), (far + 1, spread), (far + 2, (spread << 3) | 1), (far + 3, None), (far + 4, None), (far + 5, -1), (far + 6, -1), (far + 7, -1 ^ spread)]
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= dedup.DISTANCE
+    want = {i for i, f in fps if f is None or not any(j < i and g is not None and near(f, g) for j, g in fps)}
+    got = {r.doc_id for r in dedup.near_kept(spark.createDataFrame(fps, "doc_id long, fp long")).collect()}
+    assert got == want and {i - far for i in got if i >= far} == {0, 2, 3, 4, 5}
+
+
+def test_near_copy_goes_and_others_stay(spark):
+    words = [f"word{i}" for i in range(3000)]
+    rows = [(4, " ".join(words)), (2, " ".join(["Other", *words[1:]])), (3, " ".join(w + "x" for w in words)), (5, ""), (6, None)]
+    out = dedup.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in out.collect()} == {2, 3, 5, 6}
+
+
+def test_quality_follows_labels(spark):
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").collect()
+    right = sum((r.p_quality >= 0.5) == bool(r.quality) for r in scored) / len(scored)
+    print("right", right)
+    assert right >= 0.95
+    assert 0 < entry.queries()["op1_quality_classifier"](spark, DIR).count() < docs.count()
