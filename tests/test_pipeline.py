@@ -1,0 +1,28 @@
+"""The pipeline against its stages, each written and read again."""
+
+import sys
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from llm import packing
+
+DIR = "/root/testdata/sf0.01"
+
+
+def test_pipeline(tmp_path):
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", 4).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", False).getOrCreate()
+    assert [name.split("_")[0] for name, _ in corpus_pipeline.STAGES] == ["op1", "op5", "op10", "op8"]
+    df, counts = spark.read.parquet(f"{DIR}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, df, DIR).write.parquet(str(tmp_path / name))
+        before, df = df, spark.read.parquet(str(tmp_path / name))
+        counts.append(df.count())
+    assert 1000 > counts[0] > counts[1] > counts[2] > 0
+    assert "".join(r.text for r in df.orderBy("seq_id").collect()) == "".join((r.text or "") + packing.END for r in before.orderBy("doc_id").collect())
+    got = entry.queries()["pipeline"](spark, DIR)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
