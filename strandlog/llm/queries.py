@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses, sharding, simhash
+from . import byte_bpe, exact, licenses, packing, sharding, simhash, store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": sharding.query,
+        "op4_byte_bpe": byte_bpe.query,
         "op5_exact_dedup": exact.query,
+        "op6_token_store": store.query,
+        "op8_packing": packing.query,
         "op9_license_scan": licenses.query,
         "op10_simhash": simhash.query,
     }
