@@ -13,6 +13,8 @@ from .word_bpe import vocabulary
 
 #: States and words that a process remembers; beyond, it forgets them all and builds what it needs anew. That changes no result.
 STATES, WORDS, LONGEST = 200_000, 300_000, 64
+#: Bits of a start that hold the token before it; all set at the beginning. Bytes after which settled ids are given out.
+BEFORE, NONE, SETTLE = 20, (1 << 20) - 1, 256
 #: A text is decoded and hashed in runs of so many ids.
 RUN = 1 << 16
 
@@ -45,10 +47,11 @@ class Transducer:
     sequence of tokens is the encoding if and only if each two neighbours may follow each other, and each prefix of a text has
     one last token [the last of its own encoding].
 
-    A state holds the starts from which a token may still grow: for each its place in the trie and the tokens up to it that
-    aren't out yet. A step drops starts that no token continues, adds the position itself with the one token that may end
-    there, and emits what the remaining starts agree on. A token can grow no longer than the longest one in the vocabulary, so
-    that is the lookahead after which its start is settled or gone. States and steps are made when first needed and remembered.
+    A state holds the starts from which a token may still grow: for each its place in the trie and the token before it. A step
+    drops starts that no token continues, and adds the position itself with the one token that may end there. Its output says
+    which start each new one comes from, so a run carries for each start the tokens up to it that aren't out yet; what all
+    starts agree on goes out. A token can grow no longer than the longest one in the vocabulary, so that is the lookahead
+    after which its start is settled or gone. States and steps are made when first needed and remembered.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -74,16 +77,16 @@ class Transducer:
                     self.ends.append(-1)
                 node = self.children[node][b]
             self.ends[node] = r
-        self.may_follow: dict[tuple[int, int], bool] = {}
+        self.may_follow: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self._number((-1, ((0, ()),)))
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.steps: list[dict[int, tuple]] = []
+        self.start = self._number((NONE,))
 
-    def _number(self, state: tuple) -> int:
+    def _number(self, state: tuple[int, ...]) -> int:
         n = self.numbers.get(state)
         if n is None:
             n = self.numbers[state] = len(self.states)
@@ -91,17 +94,6 @@ class Transducer:
             self.steps.append({})
         return n
 
-    def follows(self, a: int, b: int) -> bool:
-        """Whether BPE leaves a and b apart when they stand together."""
-        if a < 0:
-            return True
-        known = self.may_follow.get((a, b))
-        if known is None:
-            if len(self.may_follow) >= 4 * STATES:
-                self.may_follow.clear()
-            known = self.may_follow[a, b] = self._apart(a, b)
-        return known
-
     def _apart(self, a: int, b: int) -> bool:
         limit = 1 << 62  # a merge across the border must come before this one
         while True:
@@ -115,47 +107,88 @@ class Transducer:
             else:
                 limit, b = b + 1, self.split[b][0]
 
-    def _step(self, state: tuple, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, starts = state
-        grown, ended = [], None
-        for node, path in starts:
-            node = self.children[node].get(byte, -1)
-            if node < 0:
+    def _step(self, state: tuple[int, ...], byte: int) -> tuple[int, tuple[int, ...], int, int]:
+        """The next state, which starts of this one live on, which one the new token follows, and that token."""
+        children, ends, may_follow = self.children, self.ends, self.may_follow
+        new, kept, after, token = [], [], -1, -1
+        for k, start in enumerate(state):
+            node = children[start >> BEFORE].get(byte)
+            if node is None:
                 continue
-            grown.append((node, path))
-            token = self.ends[node]
-            if ended is None and token >= 0 and self.follows(path[-1] if path else before, token):
-                ended = path + (token,)
-        assert ended is not None
-        grown = [(node, path) for node, path in grown if self.children[node]] + [(0, ended)]
-        common = min(len(path) for _, path in grown)
-        first = grown[0][1]
-        k = 0
-        while k < common and all(path[k] == first[k] for _, path in grown):
-            k += 1
-        out = first[:k]
-        return self._number((out[-1] if out else before, tuple((node, path[k:]) for node, path in grown))), out
+            if token < 0 and (end := ends[node]) >= 0:
+                before = start & NONE
+                if before == NONE:
+                    after, token = k, end
+                else:
+                    pair = before << BEFORE | end
+                    ok = may_follow.get(pair)
+                    if ok is None:
+                        if len(may_follow) >= 4 * STATES:
+                            may_follow.clear()
+                        ok = may_follow[pair] = self._apart(before, end)
+                    if ok:
+                        after, token = k, end
+            if children[node]:
+                new.append(node << BEFORE | start & NONE)
+                kept.append(k)
+        new.append(token)  # at the trie's root
+        return self._number(tuple(new)), tuple(kept), after, token
 
     def encode(self, word: bytes) -> Iterator[int]:
-        """The ids of one match of the pattern, given as soon as they are settled."""
+        """The ids of one match of the pattern; of a long one as soon as they are settled."""
         whole = self.ranks.get(word)
         if whole is not None:  # a match that is a token is that token
-            yield whole
-            return
+            return iter((whole,))
         if len(self.states) > STATES:
             self._forget()
-        at = self.start
-        for byte in word:
-            step = self.steps[at].get(byte)
+        return self._run(word)
+
+    def _run(self, word: bytes) -> Iterator[int]:
+        at, steps, paths = self.start, self.steps, [()]
+        for k, byte in enumerate(word):
+            step = steps[at].get(byte)
             if step is None:
-                step = self.steps[at][byte] = self._step(self.states[at], byte)
+                step = steps[at][byte] = self._step(self.states[at], byte)
                 if len(self.states) > 2 * STATES:  # within one long match
                     state = self.states[step[0]]
                     self._forget()
-                    step = (self._number(state), step[1])
-            at, out = step
-            yield from out
-        yield from next(path for node, path in self.states[at][1] if node == 0)
+                    step, steps = (self._number(state), *step[1:]), self.steps
+            at, kept, after, token = step
+            path = (paths[after], token)  # the token and, before it, what it follows
+            if len(kept) == len(paths):
+                paths.append(path)
+            else:
+                paths = [paths[j] for j in kept]
+                paths.append(path)
+            if k % SETTLE == SETTLE - 1:
+                paths = yield from self._settled(paths)
+        path, rest = paths[-1], []
+        while path:
+            path, token = path
+            rest.append(token)
+        yield from reversed(rest)
+
+    @staticmethod
+    def _settled(paths: list[tuple]) -> Iterator[int]:
+        """Give out the tokens with which all paths begin; returns the paths without them."""
+        flat = []
+        for path in paths:
+            tokens = []
+            while path:
+                path, token = path
+                tokens.append(token)
+            flat.append(tokens[::-1])
+        n = 0
+        while all(len(t) > n and t[n] == flat[0][n] for t in flat):
+            n += 1
+        yield from flat[0][:n]
+        out = []
+        for tokens in flat:
+            path = ()
+            for token in tokens[n:]:
+                path = (path, token)
+            out.append(path)
+        return out
 
 
 class Utf8:
