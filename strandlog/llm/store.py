@@ -80,17 +80,9 @@ def _carry(matrix: tuple[int, ...], v: int) -> int:
     return out
 
 
-@cache
-def _tables(n_bytes: int) -> tuple[list[int], ...]:
-    """The same as four tables of 256, a lookup for each byte of the CRC."""
-    m = _shift(n_bytes)
-    return tuple([_carry(m, b << s) for b in range(256)] for s in (0, 8, 16, 24))
-
-
 def crc_join(a: int, b: int, n_bytes: int) -> int:
     """The CRC-32 of two parts one after the other, from the CRC-32 of each and the length of the second."""
-    t = _tables(n_bytes)
-    return t[0][a & 255] ^ t[1][a >> 8 & 255] ^ t[2][a >> 16 & 255] ^ t[3][a >> 24] ^ b
+    return _carry(_shift(n_bytes), a) ^ b
 
 
 _ROWS = "kind string, key binary, doc_id long, n long, payload binary"

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from struct import pack
 
-#: A process remembers the ids of up to so many words of up to LONGEST characters, about 100 MB; then it starts anew with those of the texts at hand.
-REMEMBERED, LONGEST = 400_000, 48
+#: A process remembers the ids of up to so many pieces of up to LONGEST characters, some 100 MB; then it starts anew.
+REMEMBERED, LONGEST = 500_000, 64
 #: A longer text is encoded in pieces of about so many characters.
 PIECE = 1 << 20
 
+#: The tokenizer's split pattern, and the same for texts of plain characters in lower case.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ſ]+|[0-9]|[!-/:-@\\[-`{-~\xd7\xf7]+").findall
+#: Plain characters are their own NFC, of the same class and case everywhere.
+_PLAIN = re.compile("[ \n\x21-\x7e\xc0-įı-ſ]*").fullmatch
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -17,27 +25,50 @@ class WordEncoder:
     """The ids of whole texts as little-endian unsigned 32-bit integers, as the library gives them.
 
     The tokenizer drops white space, and no rule of it reaches across any, so a text's ids are those of its parts between
-    spaces and line feeds. Parts seen before aren't encoded again.
+    spaces and line feeds. Texts or parts of plain characters, for which lower-casing and the split pattern can't differ
+    between here and the library, are split here, and pieces that weren't seen before given to the library's model; other
+    parts go through the whole library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: set[str]) -> None:
-        import numpy as np
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        with open(path) as f:
+            rules = json.load(f)
+        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        normal = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        self.simple = (
+            normal == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"] == {"Regex": PATTERN} and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
+        )
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the characters by which byte-level models name bytes
+        self.names = dict(zip(shown, map(chr, shown))) | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def _parts(self, text: str) -> list[str]:
+        """The pieces of a text; parts that aren't plain are one piece, marked by a space before it."""
+        if self.simple and _PLAIN(text):
+            return _PIECES(text.lower())
+        out = []
+        for w in text.replace("\n", " ").split(" "):
+            if self.simple and _PLAIN(w):
+                out += _PIECES(w.lower())
+            else:
+                out.append(" " + w)
+        return out
 
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {w: self.known[w] for w in words if w in self.known} | {"": b""}
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+    def _ids(self, piece: str) -> bytes:
+        if piece[0] == " ":
+            own = self.tokenizer.encode(piece[1:], add_special_tokens=False).ids
+        else:
+            own = [t.id for t in self.model.tokenize(piece.translate(self.names) if piece.isascii() else piece.encode().decode("latin-1").translate(self.names))]
+        return pack(f"<{len(own)}I", *own)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text. Texts are worked on in groups of about PIECE characters."""
@@ -54,17 +85,19 @@ class WordEncoder:
             at = end
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*parts)
-        long = {w for w in words if len(w) > LONGEST}
-        self._learn(words - long)
-        known = self.known
-        if long:
-            known = dict(zip(long, (np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in long)))
-            return [b"".join([known[w] if w in known else self.known[w] for w in p]) for p in parts]
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        parts = [self._parts(t) for t in texts]
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        known, long = self.pieces, []
+        for p in set().union(*parts):
+            if p not in known:
+                known[p] = self._ids(p)
+                if len(p) > LONGEST:
+                    long.append(p)
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for p in long:
+            del known[p]
+        return out
 
     def _long(self, text: str) -> bytes:
         out, at = [], 0
