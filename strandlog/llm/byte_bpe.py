@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,12 @@ from .word_bpe import vocabulary
 
 #: States and words that a process remembers; beyond, it forgets them all and builds what it needs anew. That changes no result.
 STATES, WORDS, LONGEST = 200_000, 300_000, 64
+#: The public pattern, and the same for texts of plain characters, which are of the same class everywhere.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+| ?[0-9]+| ?[!-/:-@\\[-`{-~\xd7\xf7]+|[ \n]+(?![^ \n])|[ \n]+").findall
+_PLAIN = re.compile("[ \n\x21-\x7e\xc0-\u017f]*").fullmatch
+#: A text of more characters isn't matched at once.
+PIECE = 1 << 20
 #: Bits of a start that hold the token before it; all set at the beginning. Bytes after which settled ids are given out.
 BEFORE, NONE, SETTLE = 20, (1 << 20) - 1, 256
 #: A text is decoded and hashed in runs of so many ids.
@@ -83,15 +90,14 @@ class Transducer:
     def _forget(self) -> None:
         self.numbers: dict[tuple[int, ...], int] = {}
         self.states: list[tuple[int, ...]] = []
-        self.steps: list[dict[int, tuple]] = []
+        self.steps: dict[int, tuple] = {}  # by 256 times the state's number plus the byte
         self.start = self._number((NONE,))
 
     def _number(self, state: tuple[int, ...]) -> int:
         n = self.numbers.get(state)
         if n is None:
-            n = self.numbers[state] = len(self.states)
+            n = self.numbers[state] = 256 * len(self.states)
             self.states.append(state)
-            self.steps.append({})
         return n
 
     def _apart(self, a: int, b: int) -> bool:
@@ -107,8 +113,8 @@ class Transducer:
             else:
                 limit, b = b + 1, self.split[b][0]
 
-    def _step(self, state: tuple[int, ...], byte: int) -> tuple[int, tuple[int, ...], int, int]:
-        """The next state, which starts of this one live on, which one the new token follows, and that token."""
+    def _step(self, state: tuple[int, ...], byte: int) -> tuple[int, tuple[int, ...] | None, int, int]:
+        """The next state, which starts of this one live on (None: all), which one the new token follows, and that token."""
         children, ends, may_follow = self.children, self.ends, self.may_follow
         new, kept, after, token = [], [], -1, -1
         for k, start in enumerate(state):
@@ -132,52 +138,60 @@ class Transducer:
                 new.append(node << BEFORE | start & NONE)
                 kept.append(k)
         new.append(token)  # at the trie's root
-        return self._number(tuple(new)), tuple(kept), after, token
+        return self._number(tuple(new)), None if len(kept) == len(state) else tuple(kept), after, token
 
-    def encode(self, word: bytes) -> Iterator[int]:
+    def encode(self, word: bytes) -> Iterable[int]:
         """The ids of one match of the pattern; of a long one as soon as they are settled."""
         whole = self.ranks.get(word)
         if whole is not None:  # a match that is a token is that token
-            return iter((whole,))
+            return (whole,)
         if len(self.states) > STATES:
             self._forget()
-        return self._run(word)
-
-    def _run(self, word: bytes) -> Iterator[int]:
-        at, steps, paths = self.start, self.steps, [()]
-        for k, byte in enumerate(word):
-            step = steps[at].get(byte)
+        if len(word) > SETTLE:
+            return self._long(word)
+        _, paths = self._run(word, self.start, [()])
+        return self._tokens(paths[-1])
+
+    def _run(self, data: bytes, at: int, paths: list[tuple]) -> tuple[int, list[tuple]]:
+        """The state and the starts' paths after these bytes. A path is a token and, before it, what it follows."""
+        known = self.steps.get
+        for byte in data:
+            step = known(at + byte)
             if step is None:
-                step = steps[at][byte] = self._step(self.states[at], byte)
-                if len(self.states) > 2 * STATES:  # within one long match
-                    state = self.states[step[0]]
-                    self._forget()
-                    step, steps = (self._number(state), *step[1:]), self.steps
+                step = self.steps[at + byte] = self._step(self.states[at >> 8], byte)
             at, kept, after, token = step
-            path = (paths[after], token)  # the token and, before it, what it follows
-            if len(kept) == len(paths):
+            path = (paths[after], token)
+            if kept is None:
                 paths.append(path)
             else:
                 paths = [paths[j] for j in kept]
                 paths.append(path)
-            if k % SETTLE == SETTLE - 1:
-                paths = yield from self._settled(paths)
-        path, rest = paths[-1], []
+        return at, paths
+
+    @staticmethod
+    def _tokens(path: tuple) -> list[int]:
+        out = []
         while path:
             path, token = path
-            rest.append(token)
-        yield from reversed(rest)
+            out.append(token)
+        out.reverse()
+        return out
+
+    def _long(self, word: bytes) -> Iterator[int]:
+        at, paths = self.start, [()]
+        for k in range(0, len(word), SETTLE):
+            if len(self.states) > STATES:
+                state = self.states[at >> 8]
+                self._forget()
+                at = self._number(state)
+            at, paths = self._run(word[k : k + SETTLE], at, paths)
+            paths = yield from self._settled(paths)
+        yield from self._tokens(paths[-1])
 
     @staticmethod
     def _settled(paths: list[tuple]) -> Iterator[int]:
         """Give out the tokens with which all paths begin; returns the paths without them."""
-        flat = []
-        for path in paths:
-            tokens = []
-            while path:
-                path, token = path
-                tokens.append(token)
-            flat.append(tokens[::-1])
+        flat = [Transducer._tokens(path) for path in paths]
         n = 0
         while all(len(t) > n and t[n] == flat[0][n] for t in flat):
             n += 1
@@ -201,6 +215,7 @@ class Utf8:
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens, self.pending, self.bad = tokens, b"", 0
         self.steps: dict[bytes, dict[int, tuple[bytes, bytes, int]]] = {}
+        self.partial = {i for i, t in tokens.items() if self._step(b"", t) != (b"", t, 0)}
 
     def _step(self, pending: bytes, data: bytes) -> tuple[bytes, bytes, int]:
         out, bad = bytearray(), 0
@@ -233,8 +248,10 @@ class Utf8:
                 return -1
         return n - len(c)
 
-    def feed(self, ids: Iterable[int]) -> bytes:
+    def feed(self, ids: list[int]) -> bytes:
         """The characters that these tokens complete, in UTF-8."""
+        if not self.pending and self.partial.isdisjoint(ids):  # the state stays as it is
+            return b"".join(map(self.tokens.__getitem__, ids))
         steps, pending, out = self.steps, self.pending, []
         own = steps.setdefault(pending, {})
         for i in ids:
@@ -263,23 +280,28 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.find = regex.compile(pattern).finditer
+        self.pattern = regex.compile(pattern)
         self.transducer = Transducer(read_ranks(path))
         self.words: dict[str, tuple[int, ...]] = {}
         self.decoder = Utf8(self.transducer.tokens)
-
-    def encode(self, text: str) -> Iterator[tuple[int, ...]]:
-        """The ids of each match of the pattern, in order."""
+        self.decimal = {i: str(i) for i in self.transducer.tokens}
+        self.plain = pattern == PATTERN
+
+    def encode(self, text: str) -> Iterator[Iterable[int]]:
+        """The ids of each match of the pattern, in order. A long text is matched bit by bit."""
+        if len(text) > PIECE:
+            words = (m.group() for m in self.pattern.finditer(text))
+        else:
+            words = _PIECES(text) if self.plain and _PLAIN(text) else self.pattern.findall(text)
         known = self.words
-        for m in self.find(text):
-            word = m.group()
+        for word in words:
             ids = known.get(word)
             if ids is None:
-                ids = tuple(self.transducer.encode(word.encode()))
+                ids = self.transducer.encode(word.encode())
                 if len(word) <= LONGEST:
                     if len(known) >= WORDS:
                         known.clear()
-                    known[word] = ids
+                    ids = known[word] = tuple(ids)
             yield ids
 
     def digests(self, text: str) -> tuple[int, str, str]:
@@ -290,7 +312,7 @@ class Codec:
         listed, decoded, n = sha256(), sha256(), 0
         ids = chain.from_iterable(self.encode(text))
         while run := list(islice(ids, RUN)):
-            listed.update(((b"," if n else b"") + ",".join(map(str, run)).encode()))
+            listed.update(((b"," if n else b"") + ",".join(map(self.decimal.__getitem__, run)).encode()))
             decoded.update(self.decoder.feed(run))
             n += len(run)
         decoded.update(self.decoder.close())
@@ -330,7 +352,7 @@ def decoded(rows: DataFrame, path: str | None = None, pattern: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern).decoder
         for b in batches:
-            texts = [(own.feed(i or ()) + own.close()).decode(errors="replace") for i in b.column(1).to_pylist()]
+            texts = [(own.feed(i or []) + own.close()).decode(errors="replace") for i in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
