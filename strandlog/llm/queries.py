@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact, licenses, packing, quality, sharding, simhash, store
+from . import byte_bpe, chat, embeddings, exact, licenses, packing, quality, sharding, simhash, store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": quality.query,
+        "op2_embedding_near_dedup": embeddings.query,
         "op3_sharding": sharding.query,
         "op4_byte_bpe": byte_bpe.query,
         "op5_exact_dedup": exact.query,
