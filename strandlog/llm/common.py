@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parents[1]
+from ..deploy import ship  # noqa: F401
+
 _own_folder: list[str] = []
 
 
@@ -35,20 +34,6 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session: their Python workers then import it wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_strandlog_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="strandlog-code-")) / f"{PACKAGE.name}.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(PACKAGE.rglob("*")):
-            if p.suffix in (".py", ".txt"):
-                z.write(p, p.relative_to(PACKAGE.parent))
-    sc.addPyFile(str(target))
-    sc._strandlog_shipped = True
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
