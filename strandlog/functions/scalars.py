@@ -94,9 +94,14 @@ def or_now(ts_ns: Column, now_ns: int) -> Column:
     return F.when(ts_ns.isNull() | (ts_ns == 0), F.lit(now_ns)).otherwise(ts_ns)
 
 
+def whole(a: Column, n: int) -> Column:
+    """a divided by n without a remainder; a double would round nanoseconds."""
+    return F.call_function("div", a, F.lit(n))
+
+
 def human(ts_ns: Column) -> Column:
     """UTC with milliseconds, whatever the session's zone; NONE for 0."""
-    ms = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(F.floor(ts_ns / 1000000) / 1000).cast("decimal(18,6)"))
+    ms = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(whole(ts_ns, 1000000).cast("decimal(18,0)") / 1000).cast("decimal(18,6)"))
     return F.when(ts_ns == 0, F.lit("NONE")).otherwise(F.date_format(ms, "yyyy-MM-dd HH:mm:ss.SSS"))
 
 

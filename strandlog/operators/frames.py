@@ -144,7 +144,7 @@ def rotate_records(frames: DataFrame, most: int, by: tuple[str, ...] = ()) -> Da
 def rotate_time(frames: DataFrame, seconds: int, by: tuple[str, ...]) -> DataFrame:
     """A new segment at each full period since the stream's first frame."""
     first = frames.groupBy(*by).agg(F.min("ts_ns").alias("_first"))
-    return frames.join(first, list(by)).withColumn("segment", F.floor((F.col("ts_ns") - F.col("_first")) / (seconds * 10**9))).drop("_first")
+    return frames.join(first, list(by)).withColumn("segment", S.whole(F.col("ts_ns") - F.col("_first"), seconds * 10**9)).drop("_first")
 
 
 def rotate_size(frames: DataFrame, most: int, by: str) -> DataFrame:

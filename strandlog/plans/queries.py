@@ -317,7 +317,7 @@ _DOC = """'{"n": ' || user_id || ', "in": {"ts" : "' || event_type || '"}, "time
 
 
 def _objects(spark: SparkSession, d: str) -> DataFrame:
-    ms = F.floor(O.nanoseconds("ts") / 1000000)
+    ms = S.whole(O.nanoseconds("ts"), 1000000)
     return _table(spark, d, "events").select("event_id", F.concat(F.lit('{"n": '), "user_id", F.lit(', "in": {"ts" : "'), "event_type", F.lit('"}, "time":'), ms, F.lit("}")).alias("json"))
 
 
