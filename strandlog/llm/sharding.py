@@ -102,7 +102,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
     targets = [sum(widths[: s + 1]) for s in range(shards - 1)]
     place = F.lit(0)
     for edge in splitters(light, targets, most) if total else []:
-        place = place + (F.lit(edge) <= F.col("key").cast("decimal(20,0)") if abs(edge) >= 1 << 63 else F.col("key") >= edge).cast("int")
+        if edge < 1 << 63:  # no key reaches a larger one
+            place = place + (F.col("key") >= max(edge, -(1 << 63))).cast("int")
     dealt = spark.createDataFrame(of, "key long, heavy_shard int")
     rows = rows.join(F.broadcast(dealt), "key", "left").withColumn("shard", F.coalesce("heavy_shard", place).cast("int"))
     out = ranked(rows.select("doc_id", "size", "text_crc32", "shard"), "shard", ["doc_id"], "slot", buckets(spark))
