@@ -444,6 +444,151 @@ def verify_report(spark, d):
     return segments.reports(spark, files).select(F.regexp_extract("file", r"segment-(\w+)\.seg", 1).alias("stream"), "exit_code", "sealed", "salvage", "records")
 
 
+_STREAM = r"segment-(\w+)\.seg"
+
+
+def _values(rows: list[tuple], cols: str) -> str:
+    show = lambda v: "NULL" if v is None else f"CAST({v} AS BIGINT)" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({cols})"
+
+
+@query("scan_from_offset", f"SELECT stream, frame_index - 10 AS place, ts_ns, payload FROM ({_WRITTEN}) WHERE frame_index >= 10")
+def scan_from_offset(spark, d):
+    from ..sources import segments
+
+    folder = _written(spark, d)
+    starts = segments.scan(spark, folder, payloads=False).where("frame_index = 10").select("path", "file_offset")
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for path, at in zip(b["path"], b["file_offset"]):
+                yield pd.DataFrame([(r[0], r[1], r[5], r[7]) for r in segments.scan_file(path, start=at) if r[10] == 0], columns=["path", "place", "ts_ns", "payload"])
+
+    rows = starts.mapInPandas(run, "path string, place long, ts_ns long, payload binary")
+    return rows.select(F.regexp_extract("path", _STREAM, 1).alias("stream"), "place", "ts_ns", F.decode("payload", "UTF-8").alias("payload"))
+
+
+@query("chain_tip", "SELECT event_type AS stream, count(*) AS records, true AS whole FROM events GROUP BY event_type")
+def chain_tip(spark, d):
+    from ..sources import segments
+
+    ends = segments.scan(spark, _written(spark, d), ends=True).where("rc <> 0")
+    return ends.select(F.regexp_extract("path", _STREAM, 1).alias("stream"), F.col("frame_index").alias("records"), ((F.col("rc") == segments.END) & (F.octet_length("prev_hash") == 32)).alias("whole"))
+
+
+@query("run_markers", "SELECT event_type AS stream, CAST(m AS BIGINT) AS marker, count(*) * 0 + 1 AS n FROM events, (VALUES (0), (1), (2)) v(m) GROUP BY event_type, m")
+def run_markers(spark, d):
+    from ..sources import segments
+
+    rows = segments.scan(spark, _written(spark, d, run=True)).where(S.kind_by_type(F.col("type")) == "CONTROL")
+    return rows.groupBy(F.regexp_extract("path", _STREAM, 1).alias("stream"), (F.col("type") - S.CONTROL_TYPE).alias("marker")).agg(F.count("*").alias("n"))
+
+
+@query("repair_prefix", "SELECT event_type AS stream, count(*) // 2 AS records_kept, 1 AS salvage_reason, 'partial_frame' AS salvage_reason_str, 0 AS exit_after FROM events GROUP BY event_type")
+def repair_prefix(spark, d):
+    """Each segment is cut within the frame after its first half, repaired and verified."""
+    from ..sources import segments
+
+    rows = segments.scan(spark, _written(spark, d), payloads=False)
+    half = rows.groupBy("path").agg(F.floor(F.count("*") / 2).alias("frame_index"))
+    cuts = rows.join(half, ["path", "frame_index"]).select("path", "file_offset", "length")
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for path, at, n in zip(b["path"], b["file_offset"], b["length"]):
+                fs, p = segments.open_fs(path)
+                with fs.open_input_file(p) as f, fs.open_output_stream(p + ".cut") as out:
+                    left = at + segments.FRAME + n // 2
+                    while left > 0:
+                        block = f.read(min(segments.BLOCK, left))
+                        out.write(block)
+                        left -= len(block)
+                r = segments.repair_file(path + ".cut")
+                after = segments.verify_file(path + ".cut.repaired")["exit_code"]
+                yield pd.DataFrame([(path, r["records_kept"], r["salvage_reason"], r["salvage_reason_str"], after)])
+
+    out = cuts.mapInPandas(run, "path string, records_kept long, salvage_reason int, salvage_reason_str string, exit_after int")
+    return out.select(F.regexp_extract("path", _STREAM, 1).alias("stream"), "records_kept", "salvage_reason", "salvage_reason_str", "exit_after")
+
+
+@query("seal_sign_check", "SELECT item_id, true AS good, false AS changed FROM benchmark")
+def seal_sign_check(spark, d):
+    from ..sources import seal
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for k, text in zip(b["item_id"], b["text"]):
+                public, signature = seal.sign(bytes(32), text.encode())
+                out.append((k, seal.check(public, signature, text.encode()), seal.check(public, signature, text.encode() + b".")))
+            yield pd.DataFrame(out, columns=["item_id", "good", "changed"])
+
+    return _table(spark, d, "benchmark").select("item_id", "text").mapInPandas(run, "item_id long, good boolean, changed boolean")
+
+
+@query("stream_ingest", f"SELECT user_id % 5 AS k, count(*) AS records, CAST(sum(epoch_us(ts) // 1000 % 1000000) AS BIGINT) AS ms, CAST(sum(strlen({_DOC})) AS BIGINT) AS payload_bytes FROM events GROUP BY 1")
+def stream_ingest(spark, d):
+    """The events' objects as files of lines, streamed into frames in two runs from one checkpoint."""
+    import tempfile
+    import uuid
+
+    from ..streaming import ingest
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="strandlog-")
+    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = _objects(spark, d)
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).select("json").write.mode("append").text(f"{folder}/in")
+        ingest.run(ingest.lines_stream(spark, f"{folder}/in", NOW), f"{folder}/out", f"{folder}/checkpoint")
+    frames = spark.read.parquet(f"{folder}/out")
+    return frames.groupBy((S.json_value(F.col("payload"), "n").cast("long") % 5).alias("k")).agg(F.count("*").alias("records"), F.sum(S.whole(F.col("ts_ns"), 1000000) % 1000000).alias("ms"), F.sum("length").alias("payload_bytes"))
+
+
+@query("ingest_json", f"SELECT event_id, {_DOC} AS record, epoch_us(ts) // 1000 * 1000000 AS ts_ns FROM events")
+def ingest_json(spark, d):
+    return D.decode(_objects(spark, d).withColumnRenamed("json", "text"), "json", NOW, "event_id")
+
+
+@query("trim_and_ci_equal", "SELECT doc_id, source, doc_id % 2 = 0 AS same FROM documents")
+def trim_and_ci_equal(spark, d):
+    padded = F.concat(F.lit(" \t\x0b\r\n"), "source", F.lit("\f "))
+    other = F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.concat("source", F.lit("x")))
+    return _table(spark, d, "documents").select("doc_id", S.trimmed(padded).alias("source"), (F.lower(S.trimmed(padded)) == F.lower(other)).alias("same"))
+
+
+_LITERALS = [("64M", "size", 67108864), ("1k", "size", 1024), ("off", "size", 0), ("2h", "time", 7200), ("90s", "time", 90), ("10k", "records", 10000), ("2m", "records", 2000000)]
+
+
+@query("literal_parse", _values(_LITERALS, "text, unit, value"))
+def literal_parse(spark, d):
+    return spark.createDataFrame([(t, u, S.literal(t, u)) for t, u, _ in _LITERALS], "text string, unit string, value long")
+
+
+@query("rotate_clause_parse", _values([("size=64M,time=1h", 67108864, 3600, 0), ("500", 0, 0, 500), ("off", 0, 0, 0), ("recs=1k", 0, 0, 1000)], "text, size, time, records"))
+def rotate_clause_parse(spark, d):
+    rows = [(t, *S.rotate_clause(t).values()) for t in ("size=64M,time=1h", "500", "off", "recs=1k")]
+    return spark.createDataFrame(rows, "text string, size long, time long, records long")
+
+
+@query("replay_time_literal", "SELECT t AS text, epoch_us(CAST(t AS TIMESTAMP)) * 1000 AS ns FROM (VALUES ('2024-01-10T00:00:00'), ('2025-11-17 12:23:45.123456')) v(t)")
+def replay_time_literal(spark, d):
+    return spark.createDataFrame([(t, S.parse_time(t)) for t in ("2024-01-10T00:00:00", "2025-11-17 12:23:45.123456")], "text string, ns long")
+
+
+@query("source_file")
+def source_file(spark, d):
+    """Rows only: where the tables lie isn't known to SQL."""
+    from ..sources import inputs
+
+    return inputs.open_source(spark, "file", f"{d}/region.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.octet_length("content").alias("bytes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -101,3 +101,14 @@ def fall_back(rows: DataFrame, key: str) -> DataFrame:
     """rows with the format each is kept in: raw from an input's first mismatch on."""
     first = rows.where("mismatch").groupBy(key).agg(F.min("pos").alias("_first"))
     return rows.join(first, key, "left").withColumn("kept_as", F.when(F.col("pos") >= F.col("_first"), "raw").otherwise("ndjson")).drop("_first")
+
+
+def decode(inputs: DataFrame, fmt: str, now_ns: int, key: str, text: str = "text") -> DataFrame:
+    """The records of inputs (key, text) in a format."""
+    known = {
+        "lines": lambda: lines(inputs, text), "ndjson": lambda: ndjson(inputs, now_ns, text), "lines+json": lambda: ndjson(inputs, now_ns, text), "json": lambda: json_whole(inputs, now_ns, text),
+        "csv": lambda: csv(inputs, now_ns, key, text), "raw": lambda: raw(inputs, text), "len4": lambda: len4(inputs, key, text),
+    }
+    if fmt not in known:
+        raise ValueError(f"unknown format: {fmt}")
+    return known[fmt]()

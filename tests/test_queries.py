@@ -13,7 +13,7 @@ from strandlog.plans import queries as core
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(core.queries()))
+@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_against_sql(spark, name):
     df = entry.queries()[name](spark, DIR)
     cols = sorted(df.columns)
