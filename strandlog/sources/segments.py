@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.blake3 import blake3
+from ..functions.blake3 import blake3, blake3_one
 from ..functions.scalars import CONTROL_TYPE
 from . import seal as sealing
 
@@ -43,7 +43,7 @@ class Writer:
         self.digest, self.size = hashlib.blake2b(digest_size=32), 0
         head = struct.pack("<IQI", 0, created_ns, 0)
         self._put(MAGIC + head)
-        self.tip, self.seq = blake3([head])[0], 0
+        self.tip, self.seq = blake3_one(head), 0
 
     def _put(self, b: bytes) -> None:
         self.out.write(b)
@@ -54,7 +54,7 @@ class Writer:
         crc = zlib.crc32(struct.pack("<IQ", type_id, ts_ns) + payload)
         head = struct.pack("<IIQI", len(payload), type_id, ts_ns, crc)
         self._put(head + payload + struct.pack("<Q", self.seq) + self.tip)
-        self.tip, self.seq = blake3([head + payload + self.tip])[0], self.seq + 1
+        self.tip, self.seq = blake3_one(head + payload + self.tip), self.seq + 1
 
     def close(self, records: int | None = None, mode: int = sealing.CLEAN, reason: int = 0, seal: bool = True, seed: bytes | None = None) -> None:
         if seal:

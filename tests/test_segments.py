@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlog import __main__ as cli
-from strandlog.functions.blake3 import blake3
+from strandlog.functions.blake3 import blake3, blake3_one
 from strandlog.operators import frames as O
 from strandlog.sources import inputs, segments
 from strandlog.sources import seal as sealing
@@ -23,6 +23,7 @@ def test_blake3():
         2048: "e776b6028c7cd22a4d0ba182a8bf62205d2ef576467e838ed6f2529b85fba24a", 2049: "5f4d72f40d7a5f82b15ca2b2e44b1de3c2ef86c426c95c1af0b6879522563030", 3072: "b98cb0ff3623be03326b373de6b9095218513e64f1ee2edd2525c7ad1e5cffd2",
     }
     assert {n: d.hex() for n, d in zip(want, blake3([pattern[:n] for n in want]))} == want
+    assert all(blake3_one(pattern[:n]) == blake3([pattern[:n]])[0] for n in (0, 1, 63, 64, 65, 128, 1000, 1024, 1025))
     assert blake3([b"abc"])[0].hex() == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
 
 
