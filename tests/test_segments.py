@@ -27,7 +27,7 @@ def test_blake3():
     assert blake3([b"abc"])[0].hex() == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
 
 
-def make(path, payloads=(b"a", b"", b"c" * 3000, b"FSIG", b"e"), seal=True):
+def make(path, payloads=(b"a", b"", b"c" * 3000, sealing.MAGIC, b"e"), seal=True):
     w = segments.Writer(str(path), 5)
     for k, p in enumerate(payloads):
         w.append(7, 100 + k, p)
@@ -37,7 +37,7 @@ def make(path, payloads=(b"a", b"", b"c" * 3000, b"FSIG", b"e"), seal=True):
 
 def test_golden_bytes(tmp_path):
     data = open(make(tmp_path / "a.seg", [b"abc"], seal=False), "rb").read()
-    assert data[:24] == b"FLSHv001" + struct.pack("<IQI", 0, 5, 0)
+    assert data[:24] == bytes.fromhex("464c534876303031") + struct.pack("<IQI", 0, 5, 0)
     assert data[24:44] == struct.pack("<IIQI", 3, 7, 100, __import__("zlib").crc32(struct.pack("<IQ", 7, 100) + b"abc"))
     assert data[44:47] == b"abc" and data[47:55] == bytes(8) and data[55:] == blake3([data[8:24]])[0]
     rows = list(segments.scan_file(str(tmp_path / "a.seg")))
