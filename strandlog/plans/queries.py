@@ -460,13 +460,11 @@ def scan_from_offset(spark, d):
     starts = segments.scan(spark, folder, payloads=False).where("frame_index = 10").select("path", "file_offset")
 
     def run(batches):
-        import pandas as pd
-
         for b in batches:
-            for path, at in zip(b["path"], b["file_offset"]):
-                yield pd.DataFrame([(r[0], r[1], r[5], r[7]) for r in segments.scan_file(path, start=at) if r[10] == 0], columns=["path", "place", "ts_ns", "payload"])
+            for path, at in zip(b["path"].to_pylist(), b["file_offset"].to_pylist()):
+                yield from segments.frames_from(path, at)
 
-    rows = starts.mapInPandas(run, "path string, place long, ts_ns long, payload binary")
+    rows = starts.mapInArrow(run, "path string, place long, ts_ns long, payload binary")
     return rows.select(F.regexp_extract("path", _STREAM, 1).alias("stream"), "place", "ts_ns", F.decode("payload", "UTF-8").alias("payload"))
 
 

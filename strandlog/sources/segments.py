@@ -20,6 +20,8 @@ from . import seal as sealing
 
 MAGIC, HEAD, FRAME, CHAIN = bytes.fromhex("464c534876303031"), 24, 20, 40
 BLOCK = 1 << 16
+#: Bytes of payloads that are held at once, when the frames aren't more before.
+WEIGHT = 1 << 24
 SCHEMA = "path string, frame_index long, file_offset long, length long, type long, ts_ns long, crc32 long, payload binary, seq long, prev_hash binary, rc int"
 #: What ends a scan: nothing more, a cut frame, a wrong checksum, a broken chain, no segment at all.
 END, CUT, BAD_CRC, BAD_CHAIN, NOT_ONE = 1, -4, -6, -7, -2
@@ -130,7 +132,7 @@ def scan_file(uri: str, payloads: bool = True, check: bool = True, start: int =
             yield (uri, 0, 0, None, None, None, None, None, None, None, NOT_ONE)
             return
         tip = blake3([head[8:]])[0] if check and payloads and start == HEAD else None
-        at, n, held, rc = start, 0, [], END
+        at, n, held, weight, rc = start, 0, [], 0, END
         if start != HEAD:
             f.seek(start)
 
@@ -161,11 +163,11 @@ def scan_file(uri: str, payloads: bool = True, check: bool = True, start: int =
                 rc = BAD_CRC
                 break
             held.append(((uri, n, at, size, type_id, ts, crc, payload, struct.unpack("<Q", chain[:8])[0], chain[8:], 0), h + payload + chain[8:] if payloads else b""))
-            at, n = at + FRAME + size + CHAIN, n + 1
-            if len(held) >= batch:
+            at, n, weight = at + FRAME + size + CHAIN, n + 1, weight + len(payload or b"")
+            if len(held) >= batch or weight >= WEIGHT:
                 good, tip, bad = flush(held, tip)
                 yield from (row for row, _ in good)
-                held, rc = [], bad or rc
+                held, weight, rc = [], 0, bad or rc
                 if bad:
                     at, n = (good[-1][0][2] + FRAME + good[-1][0][3] + CHAIN, good[-1][0][1] + 1) if good else (at, n)
         good, tip, bad = flush(held, tip)
@@ -175,6 +177,25 @@ def scan_file(uri: str, payloads: bool = True, check: bool = True, start: int =
         yield (uri, n, at, None, None, None, None, None, None, tip, rc)
 
 
+def frames_from(uri: str, start: int, batch: int = 1000) -> Iterator[pa.RecordBatch]:
+    """(path, place, ts_ns, payload) of the frames from an offset on, a batch at a time: no more of the file is held."""
+    held, weight = [], 0
+
+    def out() -> pa.RecordBatch:
+        cols = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["path", "place", "ts_ns", "payload"])
+
+    for row in scan_file(uri, start=start, batch=batch):
+        if row[10] == 0:
+            held.append((row[0], row[1], row[5], row[7]))
+            weight += row[3]
+            if len(held) >= batch or weight >= WEIGHT:
+                yield out()
+                held, weight = [], 0
+    if held:
+        yield out()
+
+
 def list_files(uri: str) -> list[str]:
     from pyarrow import fs as pafs
 

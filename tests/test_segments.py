@@ -44,6 +44,17 @@ def test_golden_bytes(tmp_path):
     assert rows[0][:6] == (str(tmp_path / "a.seg"), 0, 24, 3, 7, 100) and rows[-1][10] == segments.END
 
 
+def test_frames_from_an_offset_come_in_batches(tmp_path, monkeypatch):
+    path = make(tmp_path / "a.seg", [b"%d" % k for k in range(2500)])
+    at = [r[2] for r in segments.scan_file(path, payloads=False)][10]
+    got = list(segments.frames_from(path, at))
+    assert [b.num_rows for b in got] == [1000, 1000, 490]
+    assert [r["payload"] for b in got for r in b.to_pylist()] == [b"%d" % k for k in range(10, 2500)]
+    assert [r["place"] for b in got for r in b.to_pylist()] == list(range(2490))
+    monkeypatch.setattr(segments, "WEIGHT", 40)
+    assert max(sum(len(r["payload"]) for r in b.to_pylist()) for b in segments.frames_from(path, at)) < 44
+
+
 def test_index_bytes():
     head, entries = segments.parse_index(b := segments.index_bytes([(0, 24, 0, 7), (16, 999, 5, 7)], 16, 4321))
     assert len(b) == 128 + 64 and head == {"every_n": 16, "entries": 2, "first_ts": 5, "last_ts": 5, "file_size": 4321} and entries[1] == (16, 999, 5, 7)
