@@ -489,27 +489,19 @@ def repair_prefix(spark, d):
     """Each segment is cut within the frame after its first half, repaired and verified."""
     from ..sources import segments
 
-    rows = segments.scan(spark, _written(spark, d), payloads=False)
-    half = rows.groupBy("path").agg(F.floor(F.count("*") / 2).alias("frame_index"))
-    cuts = rows.join(half, ["path", "frame_index"]).select("path", "file_offset", "length")
+    files = segments.file_tasks(spark, segments.list_files(_written(spark, d)))
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
-            for path, at, n in zip(b["path"], b["file_offset"], b["length"]):
-                fs, p = segments.open_fs(path)
-                with fs.open_input_file(p) as f, fs.open_output_stream(p + ".cut") as out:
-                    left = at + segments.FRAME + n // 2
-                    while left > 0:
-                        block = f.read(min(segments.BLOCK, left))
-                        out.write(block)
-                        left -= len(block)
+            for path in b["file"]:
+                segments.cut_half(path, path + ".cut")
                 r = segments.repair_file(path + ".cut")
                 after = segments.verify_file(path + ".cut.repaired")["exit_code"]
                 yield pd.DataFrame([(path, r["records_kept"], r["salvage_reason"], r["salvage_reason_str"], after)])
 
-    out = cuts.mapInPandas(run, "path string, records_kept long, salvage_reason int, salvage_reason_str string, exit_after int")
+    out = files.mapInPandas(run, "path string, records_kept long, salvage_reason int, salvage_reason_str string, exit_after int")
     return out.select(F.regexp_extract("path", _STREAM, 1).alias("stream"), "records_kept", "salvage_reason", "salvage_reason_str", "exit_after")
 
 

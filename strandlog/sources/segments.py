@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import struct
 import uuid
@@ -10,7 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,6 +23,7 @@ MAGIC, HEAD, FRAME, CHAIN = bytes.fromhex("464c534876303031"), 24, 20, 40
 BLOCK = 1 << 16
 #: Bytes of payloads that are held at once, when the frames aren't more before.
 WEIGHT = 1 << 24
+_HEADER, _FRAME = struct.Struct("<IIQ"), struct.Struct("<IIQI")
 SCHEMA = "path string, frame_index long, file_offset long, length long, type long, ts_ns long, crc32 long, payload binary, seq long, prev_hash binary, rc int"
 #: What ends a scan: nothing more, a cut frame, a wrong checksum, a broken chain, no segment at all.
 END, CUT, BAD_CRC, BAD_CHAIN, NOT_ONE = 1, -4, -6, -7, -2
@@ -42,23 +44,32 @@ class Writer:
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.temp = f"{self.path}.{uuid.uuid4().hex}.part"
         self.out = self.fs.open_output_stream(self.temp)
-        self.digest, self.size = hashlib.blake2b(digest_size=32), 0
+        self.digest, self.size, self.held, self.waiting = hashlib.blake2b(digest_size=32), 0, [], 0
         head = struct.pack("<IQI", 0, created_ns, 0)
         self._put(MAGIC + head)
         self.tip, self.seq = blake3_one(head), 0
 
     def _put(self, b: bytes) -> None:
+        self.held.append(b)
+        self.waiting += len(b)
+        if self.waiting >= BLOCK:
+            self._flush()
+
+    def _flush(self) -> None:
+        b = b"".join(self.held)
         self.out.write(b)
         self.digest.update(b)
-        self.size += len(b)
+        self.size += self.waiting
+        self.held, self.waiting = [], 0
 
     def append(self, type_id: int, ts_ns: int, payload: bytes) -> None:
-        crc = zlib.crc32(struct.pack("<IQ", type_id, ts_ns) + payload)
-        head = struct.pack("<IIQI", len(payload), type_id, ts_ns, crc)
-        self._put(head + payload + struct.pack("<Q", self.seq) + self.tip)
-        self.tip, self.seq = blake3_one(head + payload + self.tip), self.seq + 1
+        head = _HEADER.pack(len(payload), type_id, ts_ns)
+        frame = head + zlib.crc32(payload, zlib.crc32(head[4:])).to_bytes(4, "little") + payload
+        self._put(frame + self.seq.to_bytes(8, "little") + self.tip)
+        self.tip, self.seq = blake3_one(frame + self.tip), self.seq + 1
 
     def close(self, records: int | None = None, mode: int = sealing.CLEAN, reason: int = 0, seal: bool = True, seed: bytes | None = None) -> None:
+        self._flush()
         if seal:
             self.out.write(sealing.trailer(self.size, self.seq if records is None else records, self.tip, self.digest.digest(), mode, reason, seed))
         self.out.close()
@@ -76,7 +87,8 @@ def meta(fmt: str, label: str, source: dict, policy: dict, rotate: dict, fallbac
 def write(frames: DataFrame, folder: str, by: str = "segment", order: str = "frame_index", created_ns: int = 0, run: bool = False) -> DataFrame:
     """(segment, path, records, bytes): writes a sealed segment for each value of `by`. frames: (by, order, type, ts_ns, payload).
 
-    A chain is serial, so a segment is one task's; segments are written side by side and their frames pass through in batches. run:
+    A chain is serial, so a segment is one task's; segments are written side by side and their frames pass through in batches. Tasks are dealt out by
+    the segments' numbers of frames, largest first, so no two share a task while others have none. run:
     with control frames at both ends. Lazy like any DataFrame; a repeated task writes the same segment again.
     """
 
@@ -108,7 +120,11 @@ def write(frames: DataFrame, folder: str, by: str = "segment", order: str = "fra
         yield pd.DataFrame(done, columns=["segment", "path", "records", "bytes"])
 
     rows = frames.select(F.col(by).cast("string").alias(by), order, "type", "ts_ns", F.col("payload").cast("binary").alias("payload"))
-    return rows.repartition(by).sortWithinPartitions(by, order).mapInPandas(go, "segment string, path string, records long, bytes long")
+    spark = frames.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = rows.groupBy(F.col(by).alias("_of")).count().select("_of", ((F.row_number().over(Window.orderBy(F.desc("count"), "_of")) - 1) % n).alias("_task"))  # a row for each segment
+    rows = rows.join(F.broadcast(tasks), F.col(by).eqNullSafe(F.col("_of")), "left").repartitionById(n, F.coalesce("_task", F.lit(0))).sortWithinPartitions(by, order)
+    return rows.drop("_of", "_task").mapInPandas(go, "segment string, path string, records long, bytes long")
 
 
 def trailer_at(fs, path: str) -> tuple[int, bytes]:
@@ -126,7 +142,7 @@ def scan_file(uri: str, payloads: bool = True, check: bool = True, start: int =
     """Rows as in SCHEMA, and last one with only path, frame_index, file_offset and rc: why the scan ended. check: checksums and chain; from another start, or without payloads, the chain isn't looked at."""
     fs, path = open_fs(uri)
     end, _ = trailer_at(fs, path)
-    with fs.open_input_file(path) as f:
+    with fs.open_input_file(path) as raw, io.BufferedReader(raw, BLOCK) as f:
         head = f.read(HEAD)
         if len(head) < HEAD or head[:8] != MAGIC:
             yield (uri, 0, 0, None, None, None, None, None, None, None, NOT_ONE)
@@ -150,30 +166,30 @@ def scan_file(uri: str, payloads: bool = True, check: bool = True, start: int =
             h = f.read(min(FRAME, end - at))
             if not h:
                 break
-            size = struct.unpack_from("<I", h)[0] if len(h) == FRAME else 0
+            size, type_id, ts, crc = _FRAME.unpack(h) if len(h) == FRAME else (0, 0, 0, 0)
             if len(h) < FRAME or at + FRAME + size + CHAIN > end:
                 rc = CUT
                 break
-            _, type_id, ts, crc = struct.unpack("<IIQI", h)
             payload = f.read(size) if payloads else None
             if not payloads:
-                f.seek(at + FRAME + size)
+                f.seek(size, 1)
             chain = f.read(CHAIN)
             if payloads and check and zlib.crc32(h[4:16] + payload) != crc:
                 rc = BAD_CRC
                 break
-            held.append(((uri, n, at, size, type_id, ts, crc, payload, struct.unpack("<Q", chain[:8])[0], chain[8:], 0), h + payload + chain[8:] if payloads else b""))
+            held.append(((uri, n, at, size, type_id, ts, crc, payload, int.from_bytes(chain[:8], "little"), chain[8:], 0), h + payload + chain[8:] if payloads else b""))
             at, n, weight = at + FRAME + size + CHAIN, n + 1, weight + len(payload or b"")
             if len(held) >= batch or weight >= WEIGHT:
                 good, tip, bad = flush(held, tip)
                 yield from (row for row, _ in good)
-                held, weight, rc = [], 0, bad or rc
                 if bad:
-                    at, n = (good[-1][0][2] + FRAME + good[-1][0][3] + CHAIN, good[-1][0][1] + 1) if good else (at, n)
+                    _, n, at, *_ = held[len(good)][0]
+                held, weight, rc = [], 0, bad or rc
         good, tip, bad = flush(held, tip)
         yield from (row for row, _ in good)
         if bad:
-            rc, n = bad, good[-1][0][1] + 1 if good else n - len(held)
+            _, n, at, *_ = held[len(good)][0]
+            rc = bad
         yield (uri, n, at, None, None, None, None, None, None, tip, rc)
 
 
@@ -245,57 +261,85 @@ def scan(spark: SparkSession, uri: str, payloads: bool = True, verify: bool = Tr
     return rows if ends else rows.where("rc = 0")
 
 
-def verify_file(uri: str) -> dict:
-    """The report of one file: exit 0 sealed and whole, 1 whole without a seal, 2 damaged, 3 not a segment."""
+def blocks(f, size: int) -> Iterator[bytes]:
+    """The next bytes of an open file, up to `size`, in blocks."""
+    while size > 0 and (block := f.read(min(BLOCK, size))):
+        yield block
+        size -= len(block)
+
+
+def _verified(uri: str) -> tuple[dict, tuple]:
+    """The report of one file, and the last row of its scan: the frames before the first damage, their end, the chain's tip there, and why it ended."""
     fs, path = open_fs(uri)
     report = {"file": uri, "exit_code": 0, "is_segment": True, "sealed": False, "salvage": False, "records": 0}
-    n, rc = 0, END
-    for row in scan_file(uri):
-        n, rc = (n + 1, rc) if row[10] == 0 else (n, row[10])
+    for last in scan_file(uri):
+        pass
+    n, rc = last[1], last[10]
     if rc == NOT_ONE:
-        return report | {"exit_code": 3, "is_segment": False}
-    end, last = trailer_at(fs, path)
+        return report | {"exit_code": 3, "is_segment": False}, last
+    end, trailer = trailer_at(fs, path)
     report["records"] = n
     if rc != END:
-        return report | {"exit_code": 2}
-    if not last:
-        return report | {"exit_code": 1}
-    seal, digest, left = sealing.parse(last), hashlib.blake2b(digest_size=32), end
+        return report | {"exit_code": 2}, last
+    if not trailer:
+        return report | {"exit_code": 1}, last
+    seal, digest = sealing.parse(trailer), hashlib.blake2b(digest_size=32)
     with fs.open_input_file(path) as f:
-        while left:
-            block = f.read(min(BLOCK, left))
+        for block in blocks(f, end):
             digest.update(block)
-            left -= len(block)
     good = seal.signed_length == end and sealing.verified(seal, digest.digest())
-    return report | {"exit_code": 0 if good else 2, "sealed": good, "salvage": good and seal.mode == sealing.SALVAGE}
+    return report | {"exit_code": 0 if good else 2, "sealed": good, "salvage": good and seal.mode == sealing.SALVAGE}, last
+
+
+def verify_file(uri: str) -> dict:
+    """The report of one file: exit 0 sealed and whole, 1 whole without a seal, 2 damaged, 3 not a segment."""
+    return _verified(uri)[0]
 
 
 def repair_file(uri: str, target: str | None = None, dry_run: bool = False, seed: bytes | None = None) -> dict:
-    """Keep the frames before the first damage in a new segment with a salvage seal, beside the old one unless target is the same. A sealed whole file stays as it is."""
-    before = verify_file(uri)
+    """Keep the frames before the first damage in a new segment with a salvage seal, beside the old one unless target is the same. A sealed whole file stays as it is.
+
+    The one scan has checked the kept bytes and their chain, so they are copied as they are and nothing is hashed anew but for the seal.
+    """
+    before, (_, rows, end, *_, tip, rc) = _verified(uri)
     report = {"file": uri, "exit_code": 0, "sealed_before": before["sealed"], "sealed_after": before["sealed"], "modified": False, "dry_run": dry_run, "salvage_applied": False, "salvage_reason": 0, "salvage_reason_str": "none", "records_kept": before["records"], "error": None}
     if before["exit_code"] in (0, 3):
         return report | {"exit_code": before["exit_code"], "error": None if not before["exit_code"] else "not a segment"}
-    fs, path = open_fs(uri)
-    rows, rc = 0, END
-    for row in scan_file(uri):
-        rows, rc = (rows + 1, rc) if row[10] == 0 else (rows, row[10])
     reason = 5 if not rows else {END: 4, CUT: 1, BAD_CRC: 3, BAD_CHAIN: 2}[rc]
     report |= {"salvage_reason": reason, "salvage_reason_str": sealing.REASONS[reason], "records_kept": rows}
     if not rows:
         return report | {"exit_code": 2, "error": "no frames to keep"}
     if dry_run:
         return report
-    with fs.open_input_file(path) as f:
-        created = struct.unpack("<IQI", f.read(HEAD)[8:])[1]
-    w = Writer(target or f"{uri}.repaired", created)
-    for row in scan_file(uri):
-        if row[10] == 0:
-            w.append(row[4], row[5], row[7])
-    w.close(mode=sealing.SALVAGE, reason=reason, seed=seed)
+    (fs, path), (target_fs, target_path), digest = open_fs(uri), open_fs(target or f"{uri}.repaired"), hashlib.blake2b(digest_size=32)
+    target_fs.create_dir(target_path.rpartition("/")[0], recursive=True)
+    temp = f"{target_path}.{uuid.uuid4().hex}.part"
+    with fs.open_input_file(path) as f, target_fs.open_output_stream(temp) as out:
+        for block in blocks(f, end):
+            out.write(block)
+            digest.update(block)
+        out.write(sealing.trailer(end, rows, tip, digest.digest(), sealing.SALVAGE, reason, seed))
+    target_fs.move(temp, target_path)
     return report | {"modified": True, "sealed_after": True, "salvage_applied": True}
 
 
+def cut_half(uri: str, target: str) -> None:
+    """A copy that ends within the frame after the first half of the frames; the frames are counted, and the cut found, from their headers."""
+    fs, path = open_fs(uri)
+    for last in scan_file(uri, payloads=False):
+        pass
+    half = next(row for row in scan_file(uri, payloads=False) if row[1] == last[1] // 2)
+    with fs.open_input_file(path) as f, fs.open_output_stream(open_fs(target)[1]) as out:
+        for block in blocks(f, half[2] + FRAME + half[3] // 2):
+            out.write(block)
+
+
+def file_tasks(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file), a row and a task for each file."""
+    rows = spark.createDataFrame(list(enumerate(files)), "task int, file string")
+    return rows.repartitionById(max(1, len(files)), F.col("task")).select("file")
+
+
 _REPORTS = {"verify": "file string, exit_code int, is_segment boolean, sealed boolean, salvage boolean, records long", "repair": "file string, exit_code int, sealed_before boolean, sealed_after boolean, modified boolean, dry_run boolean, salvage_applied boolean, salvage_reason int, salvage_reason_str string, records_kept long, error string"}
 
 
@@ -308,8 +352,7 @@ def reports(spark: SparkSession, files: list[str], what: str = "verify", **optio
         for b in batches:
             yield pd.DataFrame([(verify_file if what == "verify" else lambda u: repair_file(u, **options))(u) for u in b["file"]])
 
-    rows = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)), "file")
-    return rows.mapInPandas(go, _REPORTS[what])
+    return file_tasks(spark, files).mapInPandas(go, _REPORTS[what])
 
 
 def index_bytes(entries: list[tuple[int, int, int, int]], every: int, file_size: int) -> bytes:

@@ -83,6 +83,61 @@ def test_damage(tmp_path, damage, exit_code, kept, reason):
         assert (again["exit_code"], again["salvage"], again["records"]) == (0, True, kept)
 
 
+def test_repair_copies_what_the_scan_has_checked(tmp_path, monkeypatch):
+    """A head with other fields, as another writer may leave it, stays; no frame is hashed anew."""
+    path, head = make(tmp_path / "a.seg", [b"%d" % k for k in range(50)]), struct.pack("<IQI", 9, 5, 0)
+    tip, body = blake3([head])[0], b""
+    rows = list(segments.scan_file(path))
+    for r in rows[:-1]:
+        frame = struct.pack("<IIQI", r[3], r[4], r[5], r[6]) + r[7]
+        body, tip = body + frame + struct.pack("<Q", r[8]) + tip, blake3([frame + tip])[0]
+    whole = segments.MAGIC + head + body
+    (tmp_path / "b.seg").write_bytes(whole[:-3])
+    monkeypatch.setattr(segments, "blake3_one", lambda b: pytest.fail("hashed anew"))
+    report = segments.repair_file(str(tmp_path / "b.seg"), seed=bytes(32))
+    assert (report["records_kept"], report["salvage_reason"], report["sealed_after"]) == (49, 1, True)
+    got = (tmp_path / "b.seg.repaired").read_bytes()
+    assert got[: -sealing.SIZE] == whole[: rows[49][2]] and sealing.parse(got[-sealing.SIZE :]).records == 49
+    assert segments.verify_file(str(tmp_path / "b.seg.repaired"))["exit_code"] == 0
+
+
+@pytest.mark.parametrize("bad", [0, 1, 2, 3, 4])
+def test_end_of_a_scan_with_a_broken_chain(tmp_path, bad):
+    """Whichever frame of a batch is the first bad one."""
+    path = make(tmp_path / "a.seg")
+    at = [r[2] for r in segments.scan_file(path)]
+    data = bytearray(open(path, "rb").read())
+    data[at[bad + 1] - 1] ^= 1
+    open(path, "wb").write(data)
+    for batch in (1, 2, 1000):
+        rows = list(segments.scan_file(path, batch=batch))
+        assert len(rows) == bad + 1 and (rows[-1][1], rows[-1][2], rows[-1][10]) == (bad, at[bad], segments.BAD_CHAIN)
+
+
+@pytest.mark.parametrize("n", [2, 3, 50])
+def test_cut_half(tmp_path, n):
+    path = make(tmp_path / "a.seg", [b"abcd" * 9] * n)
+    segments.cut_half(path, path + ".cut")
+    *rows, last = segments.scan_file(path + ".cut")
+    assert (len(rows), last[10]) == (n // 2, segments.CUT)
+
+
+def test_each_segment_has_its_task(spark, tmp_path):
+    f = O.from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).withColumnRenamed("stream", "segment")
+    got = segments.write(f, f"file://{tmp_path}/out").withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len({r.task for r in got}) == 5
+    files = segments.list_files(f"file://{tmp_path}/out")
+    got = segments.reports(spark, files).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len({r.task for r in got}) == 5 and {r.exit_code for r in got} == {0}
+
+
+def test_no_frame_is_lost_with_more_segments_than_tasks(spark, tmp_path):
+    f = spark.range(3000).selectExpr("CAST(id % 700 AS string) AS segment", "id AS frame_index", "7L AS type", "id AS ts_ns", "CAST(id AS string) AS payload")
+    f = f.unionByName(f.limit(5).withColumn("segment", F.lit(None).cast("string")))
+    got = {r.segment: r.records for r in segments.write(f, f"file://{tmp_path}/out").collect()}
+    assert len(got) == 701 and sum(got.values()) == 3005
+
+
 def test_scan_and_spark(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     f = O.from_events(events).withColumnRenamed("stream", "segment")
