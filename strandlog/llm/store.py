@@ -30,9 +30,10 @@ def cuts(ids) -> list[int]:
     x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)  # spread each id over 64 bits
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    h = x.copy()
-    for k in range(1, WINDOW):
-        h[k:] += x[:-k] << np.uint64(k)
+    h, k = x, 1
+    while k < WINDOW:  # of k ids, then of 2 k
+        h, x, k = h.copy(), h, 2 * k
+        h[k // 2 :] += x[: -(k // 2)] << np.uint64(k // 2)
     ends = (np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << BITS) - 1) == 0) + 1).tolist()
     out, at = [], 0
     for e in [*ends, n]:

@@ -390,3 +390,51 @@ def test_word_encoder_is_the_library(texts):
     e = word_bpe.encoder(word_bpe.vocabulary("word_bpe_49k.json"))
     own = [t or "" for _, t in texts[:300]] + [t or "" for _, t in ODD] + ["ΑΣ ΣΑΣ. ΐ x y ﬁ ٣٤ ① Ǆ", "́x á"]
     assert list(e.encode(own)) == [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in _tokenizer().encode_batch(own, add_special_tokens=False)]
+
+
+def test_word_encoder_splits_texts_together_as_the_library(texts):
+    rng = random.Random(3)
+    own = ["".join(rng.choices("aabst''srevlmdtx019  \n.,!_×÷ÀéŸŁſ-\"" + more, k=rng.randrange(40))) for more in ("", "\t\r\x85ß’漢İΣ") for _ in range(5000)]
+    own += ["", "'", "''", "'s", "x" * 100, "\n", " ", "×", "÷ a", "'r", "'re", "'rea", "'l", "'ll", "'s's", ".'s", "1's", "'"]
+    for e in (word_bpe.WordEncoder(word_bpe.vocabulary("word_bpe_49k.json")) for _ in range(2)):
+        assert list(e.encode(own)) == [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in _tokenizer().encode_batch(own, add_special_tokens=False)]
+        own.reverse()
+
+
+def test_word_encoder_keeps_pieces_it_meets_again(monkeypatch):
+    monkeypatch.setattr(word_bpe, "REMEMBERED", 100)
+    e, asked = word_bpe.WordEncoder(word_bpe.vocabulary("word_bpe_49k.json")), Counter()
+    one = e._ids
+    e._ids = lambda p: asked.update([p]) or one(p)
+    for k in range(0, 2000, 20):
+        list(e.encode(["word " + " ".join("x" + "abcdefghij"[n // 100 % 10] + "abcdefghij"[n // 10 % 10] + "abcdefghij"[n % 10] + "y" * (n // 1000) for n in range(k, k + 20))]))
+    assert asked["word"] == 1 and len(asked) == 2001 and len(e.pieces) + len(getattr(e, "older", ())) < 200
+
+
+def test_word_encoder_costs_little_more_than_splitting_each_text(texts):
+    import time
+
+    e, own = word_bpe.WordEncoder(word_bpe.vocabulary("word_bpe_49k.json")), [t or "" for _, t in texts]
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    list(e.encode(own))
+    assert min(seconds(lambda: list(e.encode(own))) for _ in range(3)) < 1.6 * min(seconds(lambda: [word_bpe._PIECES(t.lower()) for t in own]) for _ in range(3))
+
+
+def test_chunks_end_where_they_did():
+    import numpy as np
+
+    ids = np.random.default_rng(1).integers(0, 49000, 30000).astype("<u4")
+    x = [(v ^ v >> 27) * 0x94D049BB133111EB % 2**64 for v in ((v ^ v >> 30) * 0xBF58476D1CE4E5B9 % 2**64 for v in (ids.astype(object) + 0x9E3779B97F4A7C15).tolist())]
+    h = [sum(x[k - j] << j for j in range(min(k + 1, store.WINDOW))) % 2**64 for k in range(len(x))]
+    want, at = [], 0
+    for e in [k + 1 for k, v in enumerate(h) if v >> 40 & 511 == 0] + [len(x)]:
+        while e - at > store.MOST:
+            want.append(at := at + store.MOST)
+        if e - at >= store.LEAST or e == len(x) > at:
+            want.append(at := e)
+    assert store.cuts(ids) == want
